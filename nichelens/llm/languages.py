@@ -40,8 +40,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 2000, 5000
 CELLS, HASHES = 1 << 21, 3
 #: Costs of a change of language at the end of a sentence and inside one, in words of full evidence.
 AT_END, INSIDE = 0.8, 3.0
-#: Fewer different words than this are no passage.
-LEAST_WORDS = 3
+#: Fewer different words than this are no passage: of a text in one language, and beside a passage in another.
+LEAST_WORDS, LEAST_BESIDE = 3, 4
 
 _DROP = re.compile(r"(?:https?://|www\.)\S+|[#@]\w+|<[^<>]*>|\S*\.(?:example|test|invalid)\S*")
 _TOKEN = re.compile(r"[^\W_]+|[.!?…\n|]+|//|--|(?<= )/(?= )")
@@ -198,7 +198,7 @@ def detect(text: str | None, evidence: _Evidence, hint: str | None = None) -> li
     found: list[list] = []
     for k, a, b in runs:
         kept = {w for w in words[a:b] if w not in names and len(w) > 1}
-        if len(kept) < LEAST_WORDS or e[a:b, k].sum() < 0.25 * (b - a):
+        if len(kept) < (LEAST_WORDS if len(runs) == 1 else LEAST_BESIDE) or e[a:b, k].sum() < 0.25 * (b - a):
             continue
         if found and found[-1][0] == k:
             found[-1][1] += e[a:b].sum(axis=0)
@@ -254,7 +254,7 @@ def fit(sample: list[tuple[str, str]]) -> LanguageFilters:
             if k != german:
                 capital.update(w for w, c in zip(part, inner[a:b], strict=True) if c)
                 seen.update(part[1:])
-    filters.names = frozenset(w for w, c in capital.items() if c >= 3 and c >= 0.9 * seen[w])
+    filters.names = frozenset(w for w, c in capital.items() if c >= 3 and c >= 0.75 * seen[w])
     for c in by:
         for w in filters.names:
             c.pop(w, None)
