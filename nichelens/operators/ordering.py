@@ -99,14 +99,22 @@ def zscores(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFra
     return attach_groups(df, stats, list(keys), "_n").withColumn(out, z).drop("_m", "_s", "_lo", "_hi", "_n")
 
 
-def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The last row of each key by ``order``: an aggregation that combines before the shuffle, whatever a key's size is."""
+def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str], first: bool = False) -> DataFrame:
+    """The last (or ``first``) row of each key by ``order``: an aggregation that combines before the shuffle, whatever a key's size is.
+
+    Ties go by the other columns as far as these can be ordered.
+    """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    top = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_t"))
-    return top.select(*keys, *[F.col(f"_t.`{c}`").alias(c) for c in [*order, *rest]])
+    fine = [c for c, t in df.dtypes if c in rest and "map<" not in t and "variant" not in t]
+    loose = [c for c in rest if c not in fine]
+    by = F.struct(*[F.col(f"`{c}`") for c in [*order, *fine]])
+    if loose:
+        pick = F.min_by if first else F.max_by
+        top = df.groupBy(*keys).agg((F.min if first else F.max)(by).alias("_t"), pick(F.struct(*[F.col(f"`{c}`") for c in loose]), by).alias("_u"))
+    else:
+        top = df.groupBy(*keys).agg((F.min if first else F.max)(by).alias("_t"))
+    return top.select(*keys, *[F.col(f"_t.`{c}`").alias(c) for c in [*order, *fine]], *[F.col(f"_u.`{c}`").alias(c) for c in loose])
 
 
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    top = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_t"))
-    return top.select(*keys, *[F.col(f"_t.`{c}`").alias(c) for c in [*order, *rest]])
+    return latest_per(df, keys, order, first=True)
