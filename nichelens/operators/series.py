@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nichelens.functions.constants import ALPHA, INTENT_MARKERS, PAIN_MARKERS
-from nichelens.functions.numbers import clamp, ewma, growth_ratio, normalized_slope, safe_ratio
+from nichelens.functions.numbers import clamp, growth_ratio, safe_ratio
 from nichelens.functions.text import has_marker
 from nichelens.session import utc_day
 
@@ -39,11 +39,25 @@ def seasonality(by_day: Column, as_of: date, days: int = 90) -> Column:
     return F.when(both == 0, F.lit(0.0)).otherwise(clamp(F.abs(week - end) / both, 0.0, 5.0))
 
 
+def ewma_weight(age: Column, alpha: float, days: int) -> Column:
+    """Weight of a day in the exponential average over ``days`` days seeded with the oldest: the fold in closed form."""
+    return F.when(age == days - 1, F.pow(F.lit(1 - alpha), F.lit(days - 1))).otherwise(F.lit(alpha) * F.pow(F.lit(1 - alpha), age))
+
+
+def _slope(age: Column, x: Column, days: int) -> Column:
+    """normalized_slope of a dense window from its active days alone, as an aggregate."""
+    inside = F.when(age < days, x).otherwise(F.lit(0.0))
+    mean = F.sum(inside) / days
+    xy = F.sum((F.lit((days - 1) / 2) - age) * inside)
+    return F.when(mean == 0, F.lit(0.0)).otherwise(xy / (days * (days * days - 1) / 12) / F.abs(mean))
+
+
 def entity_features(points: DataFrame, keys: Sequence[str], as_of: date, alpha: float = ALPHA) -> DataFrame:
     """Feature vector of each key from its points (ts, value, text, source_id).
 
-    Future points count for texts, sources and recency but not for the series. Aggregates of points and daily sums are
-    partial before the shuffle; what a key holds in the end is a map of at most 365 days.
+    Future points count for texts, sources and recency but not for the series. Silent days are 0 and never built: the
+    dense series' average, slopes and ratios are sums over active days. Both aggregations are partial before the shuffle, so a hot
+    key sends a row a day and task; no more than its 365 daily sums are ever held together.
     """
     keys = list(keys)
     day = utc_day(points, "ts")
@@ -56,33 +70,48 @@ def entity_features(points: DataFrame, keys: Sequence[str], as_of: date, alpha:
         F.sort_array(F.collect_set(F.when(F.col("source_id") != "", F.col("source_id")))).alias("source_ids"),
         F.max("value").alias("engagement"),
     )
-    maps = daily_maps(points, keys, as_of, 365, F.col("value"))
-    d = facts.join(maps, keys, "left").withColumn("by_day", F.coalesce("by_day", F.create_map().cast("map<date,double>")))
-    d = d.withColumn("s30", dense(F.col("by_day"), as_of, 30)).withColumn("s90", dense(F.col("by_day"), as_of, 90)).withColumn("s365", dense(F.col("by_day"), as_of, 365))
-    total = lambda s: F.aggregate(F.col(s), F.lit(0.0), lambda a, v: a + v)
-    d = d.withColumns({"volume_30d": total("s30"), "volume_90d": total("s90"), "volume_365d": total("s365")})
-    positive = F.array_sort(F.filter("s365", lambda v: v > 0))
-    n = F.size("pos")
-    median = (F.element_at("pos", F.floor((n + 1) / 2).cast("int")) + F.element_at("pos", F.floor(n / 2).cast("int") + 1)) / 2
-    d = d.withColumn("pos", positive)
+    age, x = F.col("_age"), F.col("_x")
+    daily = points.select(*keys, F.datediff(F.lit(as_of), day).alias("_age"), "value").where((age >= 0) & (age < 365)).groupBy(*keys, "_age").agg(F.sum("value").alias("_x"))
+    within = lambda n: F.sum(F.when(age < n, x).otherwise(F.lit(0.0)))
+    workday = F.weekday(F.date_sub(F.lit(as_of), age)) < 5
+    n_week = sum((as_of - timedelta(days=i)).weekday() < 5 for i in range(90))
+    part = lambda keep: F.sum(F.when((age < 90) & keep, x).otherwise(F.lit(0.0)))
+    series = daily.groupBy(*keys).agg(
+        within(30).alias("volume_30d"),
+        within(90).alias("volume_90d"),
+        F.sum("_x").alias("volume_365d"),
+        F.sum(F.when(age < 30, x * ewma_weight(age, alpha, 30)).otherwise(F.lit(0.0))).alias("ewma_30d"),
+        _slope(age, x, 30).alias("slope_30d"),
+        _slope(age, x, 90).alias("slope_90d"),
+        _slope(age, x, 365).alias("slope_365d"),
+        F.count_if((x > 0) & (age < 30)).cast("int").alias("active_days_30d"),
+        F.count_if(x > 0).cast("int").alias("active_days_365d"),
+        (F.max("_x") / F.median(F.when(x > 0, x))).alias("_spike"),
+        (part(workday) / n_week).alias("_week"),
+        (part(~workday) / (90 - n_week)).alias("_end"),
+    )
+    numbers = [c for c in series.columns if c not in keys]
+    d = facts.join(series, keys, "left").fillna(0.0, [c for c in numbers if not c.startswith("active")]).fillna(0, ["active_days_30d", "active_days_365d"])
+    both = (F.col("_week") + F.col("_end")) / 2
+    prior = F.greatest(F.col("volume_90d") - F.col("volume_30d"), F.lit(0.0))
     return d.select(
         *keys,
         "n_points",
         "volume_30d",
         "volume_90d",
         "volume_365d",
-        F.greatest(F.col("volume_90d") - F.col("volume_30d"), F.lit(0.0)).alias("volume_prior_60d"),
-        growth_ratio(F.col("volume_30d"), F.greatest(F.col("volume_90d") - F.col("volume_30d"), F.lit(0.0))).alias("growth"),
-        ewma(F.col("s30"), alpha).alias("ewma_30d"),
-        normalized_slope(F.col("s30")).alias("slope_30d"),
-        normalized_slope(F.col("s90")).alias("slope_90d"),
-        normalized_slope(F.col("s365")).alias("slope_365d"),
-        F.size(F.filter("s30", lambda v: v > 0)).alias("active_days_30d"),
-        n.alias("active_days_365d"),
+        prior.alias("volume_prior_60d"),
+        growth_ratio(F.col("volume_30d"), prior).alias("growth"),
+        "ewma_30d",
+        "slope_30d",
+        "slope_90d",
+        "slope_365d",
+        "active_days_30d",
+        "active_days_365d",
         "days_since_last",
-        F.when(n > 0, clamp(F.array_max("s365") / median, 0.0, 100.0)).otherwise(F.lit(0.0)).alias("spike_ratio"),
-        seasonality(F.col("by_day"), as_of).alias("seasonality"),
-        (n / F.lit(365.0)).alias("evergreen_ratio"),
+        clamp(F.col("_spike"), 0.0, 100.0).alias("spike_ratio"),
+        F.when(both == 0, F.lit(0.0)).otherwise(clamp(F.abs(F.col("_week") - F.col("_end")) / both, 0.0, 5.0)).alias("seasonality"),
+        (F.col("active_days_365d") / F.lit(365.0)).alias("evergreen_ratio"),
         "pain_signals",
         safe_ratio(F.col("pain_signals"), F.col("n_points")).alias("pain_ratio"),
         "intent_signals",
