@@ -10,7 +10,7 @@ from nichelens.session import quoted
 #: Frequent function words of the eight languages of the corpus; sentences hold them, lists don't.
 FUNCTION_WORDS = {
     "en": "the a an and of to in is it that for with was not this are be have has i my we our you they but who which what one so while when its",
-    "de": "der die das und ist nicht ein eine ich wir mit von auf zu den dem für was wer es sich im hat noch dann wurde meine",
+    "de": "der die das und ist nicht ein eine ich wir mit von auf zu den dem für was wer es sich im noch dann wurde meine",
     "fr": "le la les un une et est de des du que qui dans je il elle nous pour pas ne ce sur en au",
     "es": "el la los las un una y es del en no lo se por para con más me mi pero yo que muchas",
     "it": "il lo la gli un una e è di che in si per con ma ho al sono dal io però",
@@ -67,7 +67,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     )
     k = F.greatest("k", F.lit(1))
     share, links = F.col("func") / k, F.col("n") - F.col("k")
-    stuffed = (F.col("again") >= 2) & (F.col("again") / k >= 0.15) & (F.col("k") < 40)
+    stuffed = (F.col("again") >= 2) & (F.col("again") / k >= F.when(F.col("k") < 40, 0.15).otherwise(0.5))
     linked = links / F.col("n") >= 0.3
     sentence = (
         F.when((F.col("k") < 4) | (links > F.col("k")) | stuffed, False)
