@@ -20,9 +20,10 @@ FUNCTION_WORDS = {
 }
 _WORD = r"[\p{L}\p{N}]+"
 _LINK = r"(?:https?://|www\.)\S+|<a\b[^>]*>|</a>|#[\p{L}\p{N}_]+"
-_SPLIT = r"(?<=[.!?…])\s+|\n\s*\n|(?i)<br ?/?>|</?(?:p|div|li|ul|ol|tr|td|h\d|blockquote)\b[^>]*>"
+_SPLIT = r"(?<=[.!?…])\s+|\n\s*\n"
+_BLOCK = r"(?i)<br ?/?>|</?(?:p|div|li|ul|ol|tr|td|h\d|blockquote)\b[^>]*>"
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÅÉÈÑÖÜ"
 _END = r'[.!?…]["»”’)\]]*\s*(?:</\w+>)?\s*$'
-_SEPARATOR = r",|;|•|·|/|(?<=[^\n\s]) ?\||\s[-–—]\s"
 _PRICE = r"\d[.,]\d\d\b"
 #: A page is flagged when more than this share of its words lies in lines of no sentence shape.
 SHARE = 0.5
@@ -48,21 +49,27 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     beside links and tags are no sentence.
     """
     func = sorted({w for v in FUNCTION_WORDS.values() for w in v.split()})
-    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.explode(F.split(F.col(quoted(text)), _SPLIT)).alias("line"))
-    rows = rows.withColumn("n", F.regexp_count("line", F.lit(_WORD))).where("n > 0")
-    rows = rows.withColumn("plain", F.regexp_replace("line", _LINK, " "))
-    rows = rows.withColumn("words", F.regexp_extract_all(F.lower("plain"), F.lit(f"({_WORD})"), 1))
+    rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text)).alias("text"))
+    broken = F.when(F.col("text").contains("<"), F.regexp_replace("text", _BLOCK, "\n\n")).otherwise(F.col("text"))
+    rows = rows.select("doc_id", F.explode(F.split(broken, _SPLIT)).alias("line"))
+    line, plain = F.col("line"), F.col("plain")
+    marked = line.contains("#") | line.contains("://") | line.contains("www.") | line.contains("<")
+    rows = rows.withColumn("marked", marked).withColumn("plain", F.when(F.col("marked"), F.regexp_replace("line", _LINK, " ")).otherwise(line))
+    rows = rows.withColumn("words", F.regexp_extract_all(F.lower("plain"), F.lit(_WORD), 0))
+    rows = rows.withColumn("n", F.when(F.col("marked"), F.regexp_count("line", F.lit(_WORD))).otherwise(F.size("words"))).where("n > 0")
     rows = rows.withColumn("content", F.filter("words", lambda w: ~w.isin(func)))
+    times = lambda t: (F.length("plain") - F.length(F.replace(plain, F.lit(t), F.lit("")))) / F.lit(len(t))
+    seps = F.length("plain") - F.length(F.translate("plain", ",;•·/|", "")) - times("\n|") + times(" - ") + times(" – ") + times(" — ")
     rows = rows.select(
         "doc_id",
         "n",
         F.size("words").alias("k"),
         (F.size("words") - F.size("content")).alias("func"),
         (F.size("content") - F.size(F.array_distinct("content"))).alias("again"),
-        F.regexp_count("plain", F.lit(_SEPARATOR)).alias("seps"),
-        F.regexp_count("line", F.lit(r"(?:^|\s)\p{Lu}")).alias("caps"),
-        F.col("line").rlike(_END).alias("ends"),
-        F.col("plain").rlike(_PRICE).alias("priced"),
+        seps.alias("seps"),
+        (F.length("line") - F.length(F.translate("line", _CAPITALS, ""))).alias("caps"),
+        F.substring(F.rtrim("line"), -16, 16).rlike(_END).alias("ends"),
+        F.when(plain.rlike("[0-9]"), plain.rlike(_PRICE)).otherwise(False).alias("priced"),
         F.trim("line").contains("\n").alias("wrapped"),
     )
     k = F.greatest("k", F.lit(1))
@@ -77,7 +84,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     shape = F.concat_ws(
         "/",
         _bucket(F.col("k"), 1, 4, 10, 20, 40),
-        _bucket(F.col("caps") / k, 0.05, 0.3, 0.8),
+        _bucket(F.col("caps") / k, 0.05, 0.3, 0.8, 2),
         _bucket(F.col("seps") / k, 0.05, 0.2, 0.5),
         _bucket(links / F.col("n"), 0.01, 0.3, 0.7),
         _bucket(share, 0.07, 0.15, 0.3),
