@@ -18,7 +18,7 @@ from nichelens.session import quoted
 
 MIN_WORDS = 10
 #: Characters of test items that are broadcast at once; a larger test set goes through in blocks.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>")

@@ -57,8 +57,8 @@ def format_keys(df: DataFrame, id_col: str, fields: list[str], record: str | Non
     whole = F.concat_ws("\x1f", *parts)
     return df.select(F.col(quoted(id_col)).alias("id"), whole.alias("_c")).select(
         "id",
-        F.conv(F.substring(F.md5("_c"), 1, 15), 16, 10).cast("bigint").alias("_h1"),
-        F.conv(F.substring(F.md5("_c"), 16, 15), 16, 10).cast("bigint").alias("_h2"),
+        F.conv(F.substring(F.md5("_c"), 1, 16), 16, -10).cast("bigint").alias("_h1"),
+        F.conv(F.substring(F.md5("_c"), 17, 16), 16, -10).cast("bigint").alias("_h2"),
         F.xxhash64("_c", F.lit(7)).alias("_check"),
     )
 

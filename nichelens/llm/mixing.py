@@ -18,6 +18,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 #: Documents that one slice of a source holds on average, and slices of the queue.
 SLICE_ROWS, QUEUE_SLICES = 50_000, 2000
+#: Targets up to this number are broadcast; more are joined by a shuffle.
+MAX_TARGETS = 10_000
 
 _encodings: dict[str, object] = {}
 
@@ -83,7 +85,9 @@ def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 1, budget: int | N
     wanted = targets.select("mix_id", "source", F.col("target_share").alias("_share"), F.col("max_repeats").alias("_repeats")).where("_share > 0 and _repeats > 0 and source is not null").distinct()
     wanted = wanted.withColumn("_share", F.col("_share") / F.sum("_share").over(Window.partitionBy("mix_id")))
     of_source = sizes.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("_all"))
-    queues = F.broadcast(wanted.join(of_source, "source"))  # one row per mixture and source: as large as the list of targets
+    queues = materialize(wanted.join(of_source, "source"), "queues")
+    if queues.count() <= MAX_TARGETS:
+        queues = F.broadcast(queues)
     copies = (
         queue_positions(sizes, seed)
         .join(queues, "source")
