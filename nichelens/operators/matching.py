@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of phrases that are broadcast at once; more phrases take more passes.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 1_000_000
 
 
 def phrase_matches(texts: DataFrame, phrases: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
