@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichelens.functions.constants import ALPHA, CHUNK_SIZE, KEEP_LEAST, KEEP_SHARE, MAX_AGE_DAYS, SHOWN_CHARS
-from nichelens.functions.numbers import ewma
 from nichelens.functions.text import canonical_phrase, collapse
 from nichelens.operators.ordering import global_row_number, percentile_ranks, zscores
-from nichelens.operators.series import daily_maps, dense
-from nichelens.session import materialize
+from nichelens.operators.series import ewma_weight
+from nichelens.session import materialize, utc_day
 
 
 def dedup_texts(texts: DataFrame) -> DataFrame:
@@ -77,7 +76,8 @@ def rank_products(refs: DataFrame, texts: DataFrame, as_of: datetime, days: int
     key = ["category", "phrase"]
     seen = points.groupBy(*key).agg(F.count("*").alias("mentions"), F.count_distinct("source_id").alias("n_sources"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
     seen = seen.withColumn("stale", F.col("last_seen") < F.lit(as_of) - F.make_dt_interval(F.lit(min(max_age, days))))
-    levels = daily_maps(points, key, as_of.date(), days).select(*key, F.round(ewma(dense(F.col("by_day"), as_of.date(), days), ALPHA), 12).alias("level"))
+    age = F.datediff(F.lit(as_of.date()), utc_day(points, "ts"))
+    levels = points.withColumn("_age", age).where(F.col("_age").between(0, days - 1)).groupBy(*key).agg(F.round(F.sum(ewma_weight(F.col("_age"), ALPHA, days)), 12).alias("level"))
     fresh = materialize(seen.where("not stale").join(levels, key, "left").fillna(0.0, ["level"]), "fresh")
     ranked = percentile_ranks(zscores(fresh, ["category"], "level", "z"), ["category"], "level", "velocity")
     order = [F.desc(F.col("mentions") >= 2), F.desc("velocity"), F.desc("mentions"), F.asc("phrase"), F.asc("category")]

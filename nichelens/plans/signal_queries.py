@@ -44,7 +44,7 @@ def attention_percentile(spark, d):
 def attention_by_entity(spark, d):
     """Attention summed per entity, a ranked top twenty: the smallest whole query."""
     s = lake(spark, d)
-    r = attention_points(s, newest(s)).groupBy(canonical_phrase(F.col("entity")).alias("entity")).agg(F.round(F.sum(F.round("attention", 6)), 4).alias("attention"), F.count("*").alias("n"))
+    r = attention_points(s, newest(s)).groupBy(canonical_phrase(F.col("entity")).alias("entity")).agg(F.sum(F.round("attention", 6).cast("decimal(18,6)")).cast("double").alias("attention"), F.count("*").alias("n"))
     return r.orderBy(F.desc("attention"), "entity").limit(20)
 
 
@@ -278,7 +278,7 @@ QUERIES = {
 _ATT = f"WITH {_LAKE}, w AS (SELECT *, round(value, 9) v FROM s WHERE ts >= (SELECT t FROM ref) - INTERVAL 365 DAY), r AS (SELECT *, {_pct('v', 'source_id, metric')} pct FROM w)"
 SQL = {
     "attention_percentile": f"{_ATT} SELECT id, source_id, metric, round(pct, 6) attention, {_TEXT} AS text FROM r",
-    "attention_by_entity": f"{_ATT} SELECT {_canon('entity')} AS entity, round(sum(round(pct, 6)), 4) attention, count(*) n FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    "attention_by_entity": f"{_ATT} SELECT {_canon('entity')} AS entity, CAST(sum(CAST(round(pct, 6) AS DECIMAL(18, 6))) AS DOUBLE) attention, count(*) n FROM r GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "percentile_ranks_by_category": f"WITH {_LAKE} SELECT id, round({_pct('v', 'category')}, 6) percentile FROM (SELECT *, round(value, 9) v FROM s)",
     "zscore_by_category": f"WITH {_LAKE} SELECT id, round(CASE WHEN min(value) OVER w = max(value) OVER w THEN 0 ELSE (value - avg(value) OVER w) / stddev_samp(value) OVER w END, 5) z FROM s WHERE category IS NOT NULL WINDOW w AS (PARTITION BY category)",
     "summarize_population": f"WITH {_LAKE} SELECT category, count(*) n, round(sum(value), 4) total, round(avg(value), 4) mean, round(median(value), 4) median, round(coalesce(stddev_samp(value), 0), 4) sd_sample, round(stddev_pop(value), 4) sd_population, round(min(value), 4) low, round(max(value), 4) high FROM s WHERE category IS NOT NULL GROUP BY category",
