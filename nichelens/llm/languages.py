@@ -43,8 +43,9 @@ AT_END, INSIDE = 0.8, 3.0
 #: Fewer different words than this are no passage: of a text in one language, and beside a passage in another.
 LEAST_WORDS, LEAST_BESIDE = 3, 4
 
-_DROP = re.compile(r"(?:https?://|www\.)\S+|[#@]\w+|<[^<>]*>|\S*\.(?:example|test|invalid)\S*")
-_TOKEN = re.compile(r"[^\W_]+|[.!?…\n|]+|//|--|(?<= )/(?= )")
+_DROP = re.compile(r"(?:https?://|www\.)\S+|[#@]\w+|<[^<>]*>")
+_END = re.compile(r"[.!?…\n|]+|//|--|(?<= )/(?= )")
+_TOKEN = re.compile(r"[^\W_]+")
 
 
 def label_code(label: str | None) -> str | None:
@@ -58,26 +59,24 @@ def bare(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
-def tokens(text: str) -> tuple[list[str], list[bool], list[bool]]:
-    """A text's words in order; whether each follows an end of sentence; whether it begins with a capital inside a sentence.
+def sentences(text: str) -> list[list[str]]:
+    """A text's words as written, sentence by sentence. Links, tags, markup and words with digits are left out."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text)
+    if "#" in text or "@" in text or "<" in text or "://" in text or "www." in text:
+        text = _DROP.sub(" ", text)
+    return [ws for part in _END.split(text) if (ws := [t for t in _TOKEN.findall(part) if t.isalpha()])]
 
-    Links, tags, markup and words with digits are left out.
-    """
+
+def tokens(text: str) -> tuple[list[str], list[bool]]:
+    """A text's words in lower case, in order, and whether each begins a sentence."""
     words: list[str] = []
     after: list[bool] = []
-    inner: list[bool] = []
-    end = True
-    for t in _TOKEN.findall(_DROP.sub(" ", unicodedata.normalize("NFC", text))):
-        if not t[0].isalnum():
-            end = True
-        elif t.isalpha():
-            words.append(t.lower())
-            after.append(end)
-            inner.append(not end and t[0].isupper() and not t.isupper())
-            end = False
-        else:
-            end = False
-    return words, after, inner
+    for ws in sentences(text):
+        after.append(True)
+        after += [False] * (len(ws) - 1)
+        words += ws
+    return " ".join(words).lower().split(" ") if words else words, after
 
 
 def grams(word: str) -> list[str]:
@@ -132,21 +131,29 @@ class LanguageFilters:
         return hits
 
 
-class _Evidence(dict):
+class _Evidence:
     """Evidence of words, looked up once while it is kept."""
 
-    def __init__(self, filters: LanguageFilters):
-        super().__init__()
-        self.filters = filters
+    def __init__(self, filters: LanguageFilters, most: int = 200_000):
+        self.filters, self.most = filters, most
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((4096, len(LANGUAGES)))
 
     def of(self, words: list[str]) -> np.ndarray:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if new:
-            if len(self) > 200_000:
-                self.clear()
-                new = list(dict.fromkeys(words))
-            self.update(zip(new, self.filters.evidence(new), strict=True))
-        return np.array([self[w] for w in words])
+        place = self.place
+        try:
+            return self.rows[[place[w] for w in words]]
+        except KeyError:
+            pass
+        if len(place) > self.most:
+            place.clear()
+        new = [w for w in dict.fromkeys(words) if w not in place]
+        n = len(place)
+        while n + len(new) > len(self.rows):
+            self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+        self.rows[n : n + len(new)] = self.filters.evidence(new)
+        place.update(zip(new, range(n, n + len(new)), strict=True))
+        return self.rows[[place[w] for w in words]]
 
 
 def passages(words: list[str], after: list[bool], e: np.ndarray, hint: int | None = None) -> list[tuple[int, int, int]]:
@@ -155,7 +162,10 @@ def passages(words: list[str], after: list[bool], e: np.ndarray, hint: int | Non
     if hint is not None:
         total[hint] *= 1.01
     best = int(total.argmax())
-    gain = np.cumsum(e - e[:, best : best + 1], axis=0)
+    ahead = e - e[:, best : best + 1]
+    if np.maximum(ahead, 0).sum(axis=0).max() < AT_END:
+        return [(best, 0, len(words))]
+    gain = np.cumsum(ahead, axis=0)
     low = np.minimum.accumulate(np.vstack([np.zeros(e.shape[1]), gain[:-1]]), axis=0)
     if (gain - low).max() < AT_END:
         return [(best, 0, len(words))]
@@ -189,7 +199,7 @@ def detect(text: str | None, evidence: _Evidence, hint: str | None = None) -> li
     Fewer than LEAST_WORDS different words that are no names, or words of no known language, are no passage. The confidence is the
     lead over the second language as a share of the evidence.
     """
-    words, after, _ = tokens(text) if text else ([], [], [])
+    words, after = tokens(text) if text else ([], [])
     if not words:
         return []
     e = evidence.of(words)
@@ -197,18 +207,20 @@ def detect(text: str | None, evidence: _Evidence, hint: str | None = None) -> li
     names = evidence.filters.names
     found: list[list] = []
     for k, a, b in runs:
-        kept = {w for w in words[a:b] if w not in names and len(w) > 1}
-        if len(kept) < (LEAST_WORDS if len(runs) == 1 else LEAST_BESIDE) or e[a:b, k].sum() < 0.25 * (b - a):
+        total = e[a:b].sum(axis=0)
+        kept = {w for w in words[a:b] if len(w) > 1} - names
+        if len(kept) < (LEAST_WORDS if len(runs) == 1 else LEAST_BESIDE) or total[k] < 0.25 * (b - a):
             continue
         if found and found[-1][0] == k:
-            found[-1][1] += e[a:b].sum(axis=0)
+            found[-1][1] += total
             found[-1][2] += b - a
         else:
-            found.append([k, e[a:b].sum(axis=0), b - a])
+            found.append([k, total, b - a])
     out = []
     for k, total, n in found:
-        rest = np.delete(total, k).max()
-        out.append((LANGUAGES[k], float(min(1.0, max(0.0, 1 - rest / max(total[k], 1e-9)))), n))
+        shares = total.tolist()
+        own = shares.pop(k)
+        out.append((LANGUAGES[k], min(1.0, max(0.0, 1 - max(shares) / max(own, 1e-9))), n))
     return out
 
 
@@ -232,27 +244,27 @@ def fit(sample: list[tuple[str, str]]) -> LanguageFilters:
     inside sentences of languages other than German are names and count for nothing.
     """
     by = [Counter() for _ in LANGUAGES]
-    parsed = [(LANGUAGES.index(code), *tokens(text)) for code, text in sample]
-    for k, words, _, _ in parsed:
-        by[k].update(words)
+    parsed = [(LANGUAGES.index(code), sentences(text)) for code, text in sample]
+    for k, parts in parsed:
+        for part in parts:
+            by[k].update(w.lower() for w in part)
     filters = LanguageFilters()
     filters.fill(_rates(by), 0.5)
     evidence = _Evidence(filters)
     by, capital, seen = [Counter() for _ in LANGUAGES], Counter(), Counter()
     german = LANGUAGES.index("de")
-    for _, words, after, inner in parsed:
-        cuts = [i for i, x in enumerate(after) if x] + [len(words)]
-        for a, b in zip(cuts, cuts[1:]):
-            if b - a < LEAST_WORDS:
+    for _, parts in parsed:
+        for written in parts:
+            if len(written) < LEAST_WORDS:
                 continue
-            part = words[a:b]
+            part = [w.lower() for w in written]
             total = evidence.of(part).sum(axis=0)
             k = int(total.argmax())
             if total[k] < 0.25 * len(part):
                 continue
             by[k].update(part)
             if k != german:
-                capital.update(w for w, c in zip(part, inner[a:b], strict=True) if c)
+                capital.update(w.lower() for w in written[1:] if w[0].isupper() and not w.isupper())
                 seen.update(part[1:])
     filters.names = frozenset(w for w, c in capital.items() if c >= 3 and c >= 0.75 * seen[w])
     for c in by:
