@@ -276,11 +276,8 @@ def fit(sample: list[tuple[str, str]]) -> LanguageFilters:
 
 def label_column(label: Column) -> Column:
     """label_code as an expression."""
-    first = F.split(F.lower(F.trim(label)), "[-_ ]").getItem(0)
-    out = F.lit(None).cast("string")
-    for code, names in LABELS.items():
-        out = F.when(first.isin(names.split()), code).otherwise(out)
-    return out
+    codes = F.create_map(*[F.lit(x) for pair in _CODE.items() for x in pair])
+    return F.try_element_at(codes, F.split(F.lower(F.trim(label)), "[-_ ]").getItem(0))
 
 
 def labelled_sample(texts: DataFrame, id_col: str, text: str, label: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
