@@ -81,7 +81,9 @@ def activity(chunk_texts: DataFrame, ranked_scores: DataFrame) -> DataFrame:
     """Daily totals of sources (texts), categories and candidates (mentions).
 
     Rows delivered twice count once: texts by (id, source_id, ts), scores by the
-    whole row.
+    whole row, columns that can't be compared (maps) left aside.
     """
     texts = chunk_texts.select("id", "source_id", "ts").distinct()
+    comparable = [quoted(c) for c, kind in ranked_scores.dtypes if "map<" not in kind and "variant" not in kind]
+    ranked_scores = ranked_scores.select(*comparable)
     return daily_totals(texts, {"source": "source_id"}, "ts").unionByName(daily_totals(ranked_scores.distinct(), {"category": "category", "candidate": "candidate_id"}, "scored_at", "mentions"))
