@@ -12,6 +12,7 @@ from nichelens.functions.constants import ALPHA, CHUNK_SIZE, KEEP_LEAST, KEEP_SH
 from nichelens.functions.text import canonical_phrase, collapse
 from nichelens.operators.ordering import global_row_number, percentile_ranks, zscores
 from nichelens.operators.series import ewma_weight
+from nichelens.operators.skew import broadcast_if_small
 from nichelens.session import materialize, utc_day
 
 
@@ -44,7 +45,7 @@ def stand_in_products(chunks: DataFrame, categories: Sequence[str]) -> DataFrame
 
 def ground_refs(products: DataFrame, texts: DataFrame, categories: DataFrame) -> DataFrame:
     """(category, phrase, doc_id) of references that exist, each once; products of unknown categories are left out. Phrases are canonical."""
-    known = products.join(F.broadcast(categories.select(F.col("id").alias("category")).distinct().limit(10_000)), "category", "left_semi")
+    known = products.join(broadcast_if_small(categories.select(F.col("id").alias("category")).distinct()), "category", "left_semi")
     refs = known.select("product_id", canonical_phrase(F.col("phrase")).alias("phrase"), "category", F.explode("doc_ids").alias("doc_id")).where("phrase <> ''")
     return refs.join(texts.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").select("category", "phrase", "doc_id").distinct()
 

@@ -28,3 +28,8 @@ def attach_groups(members: DataFrame, groups: DataFrame, keys: list[str], size:
     hot, cold = groups.where(F.col(size) >= limit), groups.where(F.col(size) < limit)
     some = members.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
     return members.join(F.broadcast(hot), keys).unionByName(some)
+
+
+def broadcast_if_small(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """``rows`` marked for a broadcast if there are at most ``most`` of them, else as they are, for a shuffled join."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

@@ -11,6 +11,7 @@ from nichelens.functions.text import content_hash
 from nichelens.operators import extraction
 from nichelens.operators.flow import token_bucket, within_budget
 from nichelens.operators.ordering import global_row_number
+from nichelens.operators.skew import broadcast_if_small
 from nichelens.operators.store import expired
 from nichelens.session import materialize, scratch_dir, table, utc_day
 from nichelens.sources.parsers import parse_items
@@ -88,14 +89,14 @@ def budget_wall_cutoff(spark, d):
     """Items beyond their source's daily budget, in order of arrival; budgets are cut to a fiftieth so that they bite."""
     i = table(spark, d, "raw_items").where("fetched_at is not null")
     i = i.select("id", "source_id", utc_day(i, "fetched_at").alias("day"))
-    s = F.broadcast(table(spark, d, "sources").select(F.col("id").alias("source_id"), F.greatest(F.floor(F.col("budget_per_day") / 50), F.lit(1)).alias("cap")).limit(10_000))
+    s = broadcast_if_small(table(spark, d, "sources").select(F.col("id").alias("source_id"), F.greatest(F.floor(F.col("budget_per_day") / 50), F.lit(1)).alias("cap")))
     return within_budget(i.join(s, "source_id"), ["source_id", "day"], ["id"], F.lit(1).cast("bigint"), "cap").groupBy("source_id").agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"))
 
 
 def token_bucket_decisions(spark, d):
     """Decisions of a bucket per source over the arrivals, at a hundredth of the source's rate."""
     i = table(spark, d, "raw_items").select("source_id", "fetched_at")
-    s = F.broadcast(table(spark, d, "sources").select(F.col("id").alias("source_id"), (F.col("rps") / 100).alias("rate")).limit(10_000))
+    s = broadcast_if_small(table(spark, d, "sources").select(F.col("id").alias("source_id"), (F.col("rps") / 100).alias("rate")))
     return token_bucket(i.join(s, "source_id"), "source_id", "fetched_at", "rate").groupBy("source_id", "decision").agg(F.count("*").alias("n"))
 
 

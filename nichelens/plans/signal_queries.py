@@ -14,6 +14,7 @@ from nichelens.operators import scoring
 from nichelens.operators.ordering import group_stats, percentile_ranks, zscores
 from nichelens.operators.scoring import attention_points, since
 from nichelens.operators.series import daily_maps, dense, entity_features
+from nichelens.operators.skew import broadcast_if_small
 from nichelens.session import materialize, table
 
 
@@ -175,7 +176,7 @@ def phrases(spark, d):
 
 def egress_allowed(spark, d):
     """Signals whose link lies on a registered host or below one, per source."""
-    domains = F.broadcast(table(spark, d, "sources").select(F.explode("domains").alias("host")).distinct().limit(10_000))
+    domains = broadcast_if_small(table(spark, d, "sources").select(F.explode("domains").alias("host")).distinct())
     host = F.lower(F.try_parse_url(F.col("url"), F.lit("HOST")))
     s = lake(spark, d).select("source_id", "url", host.alias("h")).join(domains, F.col("h") == F.col("host"), "left")
     return s.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.col("url").isNotNull()).alias("linked"), F.count_if(F.col("host").isNotNull()).alias("allowed"))

@@ -176,3 +176,11 @@ def test_grounding(spark):
 def test_latest_per_keeps_maps(spark):
     df = spark.createDataFrame([(1, 1, {"a": "x"}), (1, 2, {"a": "y"})], "k int, t int, m map<string,string>")
     assert ordering.latest_per(df, ["k"], ["t"]).first().m == {"a": "y"}
+
+
+def test_large_dimension_tables_lose_no_rows(spark):
+    from nichelens.operators.extraction import ground_refs
+
+    ids = spark.range(10_500).select(F.col("id").cast("string").alias("id"))
+    products = ids.select(F.col("id").cast("bigint").alias("product_id"), F.concat(F.lit("thing "), "id").alias("phrase"), F.col("id").alias("category"), F.array(F.lit(1).cast("bigint")).alias("doc_ids"))
+    assert ground_refs(products, spark.range(3), ids).count() == 10_500
