@@ -175,10 +175,13 @@ def phrases(spark, d):
 
 
 def egress_allowed(spark, d):
-    """Signals whose link lies on a registered host or below one, per source."""
-    domains = broadcast_if_small(table(spark, d, "sources").select(F.explode("domains").alias("host")).distinct())
-    host = F.lower(F.try_parse_url(F.col("url"), F.lit("HOST")))
-    s = lake(spark, d).select("source_id", "url", host.alias("h")).join(domains, F.col("h") == F.col("host"), "left")
+    """Signals whose link lies on a registered host, or below one registered as '*.suffix', per source."""
+    domains = broadcast_if_small(table(spark, d, "sources").select(F.explode("domains").alias("domain")).select(F.lower("domain").alias("domain")).distinct())
+    links = lake(spark, d).select("source_id", "url", F.lower(F.try_parse_url(F.col("url"), F.lit("HOST"))).alias("h"))
+    parts = F.split("h", "\\.")
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat(F.lit("*."), F.array_join(F.slice(parts, i, F.size(parts)), ".")))).otherwise(F.array().cast("array<string>"))
+    hosts = links.select("h").where("h is not null").distinct().select(F.col("h").alias("host"), F.explode(F.concat(F.array("h"), above)).alias("domain")).join(domains, "domain", "left_semi").select("host").distinct()
+    s = links.join(broadcast_if_small(hosts), F.col("h") == F.col("host"), "left")
     return s.groupBy("source_id").agg(F.count("*").alias("n"), F.count_if(F.col("url").isNotNull()).alias("linked"), F.count_if(F.col("host").isNotNull()).alias("allowed"))
 
 

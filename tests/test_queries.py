@@ -50,3 +50,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_egress_below_a_registered_suffix(spark, monkeypatch):
+    from nichelens.plans import signal_queries
+
+    urls = ["https://a.example/x", "https://x.a.example/", "https://x.y.b.example/", "https://b.example/", None]
+    monkeypatch.setattr(signal_queries, "lake", lambda *_: spark.createDataFrame([("s", u) for u in urls], "source_id string, url string"))
+    monkeypatch.setattr(signal_queries, "table", lambda *_: spark.createDataFrame([(["a.example", "*.b.example", "*.y.b.example"],)], "domains array<string>"))
+    assert [tuple(r) for r in signal_queries.egress_allowed(spark, "").collect()] == [("s", 5, 4, 2)]
