@@ -75,7 +75,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that materialize() wrote and nothing reads any more."""
+    for df in tables:
+        if getattr(df, "_scratch", None):
+            _drop(df.sparkSession, df._scratch)
 
 
 def quoted(name: str) -> str:
