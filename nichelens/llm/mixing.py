@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nichelens.llm.batches import bound_batches
+from nichelens.operators.ordering import running_total
 from nichelens.session import materialize, quoted
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the tokenizer's vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
-#: Documents that one slice of a source holds on average, and slices of the queue.
-SLICE_ROWS, QUEUE_SLICES = 50_000, 2000
+#: Documents that one slice of a source holds on average.
+SLICE_ROWS = 50_000
 #: Targets up to this number are broadcast; more are joined by a shuffle.
 MAX_TARGETS = 10_000
 
@@ -67,45 +68,70 @@ def queue_positions(sizes: DataFrame, seed: int = 1) -> DataFrame:
     return rows.withColumn("_inside", inside).join(before, ["source", "_slice"]).select("doc_id", "source", "tokens", (F.col("_before") + F.col("_inside")).alias("served"))
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 1, budget: int | None = None) -> DataFrame:
-    """The documents of every mixture: mix_id, source, doc_id, copy (from 1), tokens, finish.
-
-    ``targets`` has mix_id, source, target_share, max_repeats; shares are taken relative to their sum in the mixture.
-    ``budget`` (default: the tokens of all of ``sizes``) is the size of each mixture. A copy's virtual finish time is
-    the tokens its source has served by then, earlier repeats included, divided by the source's share.
-    Copies are taken by finish time (ties: source, document, copy) as long as the total stays within the budget; where a
-    source runs dry the others go on. Sources without documents and shares of NULL or 0 give no rows.
+def _fluid_times(queues: DataFrame, budget: int) -> DataFrame:
+    """``queues`` with two times of its mixture: up to ``_sure`` all copies are within the budget, after ``_over`` none is.
 
-    Up to time v a mixture serves v tokens at most, so slices of equal time hold equally many tokens: all
-    slices but the one that the budget cuts are taken or left whole, and only that one is sorted.
+    If documents could be split, source s would have served min(v x share, all its copies) by time v, which is at most one document more than it has.
+    So the mixture has served the budget at the earliest when that sum reaches it, and at the latest when it reaches the budget and the
+    largest document of each source. The sum is piecewise linear in v, with a bend where a source runs dry.
+    """
+    mix = Window.partitionBy("mix_id")
+    by = mix.orderBy("_dry", "source")
+    rows = queues.withColumn("_cap", F.col("_all") * F.col("_repeats")).withColumn("_dry", F.col("_cap") / F.col("_share"))
+    rows = rows.withColumn("_gone", F.coalesce(F.sum("_cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("_live", F.sum("_share").over(by.rowsBetween(0, Window.unboundedFollowing))).withColumn("_slack", F.sum("_largest").over(mix))
+    # the sum is the least of its linear pieces, so it reaches a goal where the last of them does
+    until = lambda goal: F.when(F.sum("_cap").over(mix) >= goal, F.max(F.greatest((goal - F.col("_gone")) / F.col("_live"), F.lit(0.0))).over(mix)).otherwise(F.max("_dry").over(mix))
+    rows = rows.withColumn("_sure", until(F.lit(float(budget))) * (1 - 1e-9)).withColumn("_over", until(F.lit(float(budget)) + F.col("_slack")) * (1 + 1e-9))
+    return rows.select("mix_id", "source", "_share", "_repeats", "_all", "_sure", "_over")
+
+
+def served_copies(sizes: DataFrame, targets: DataFrame, seed: int = 1, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The documents of every mixture: (mix_id, source, doc_id, tokens, copies, ...) of the copies 1 to ``copies`` taken for sure, and (mix_id, source, doc_id, tokens, copy, finish) of further ones.
+
+    Virtual finish time of a copy: the tokens its source has served by then, earlier repeats included, divided by its share. How many copies of a document finish
+    by a given time follows from its place in the queue, so nothing is unfolded to find the sure ones. Only copies that finish between the
+    two times of _fluid_times, at most two largest documents of each source, are sorted: over all partitions by range, with a running total up to the budget.
     """
     sizes = materialize(sizes, "sizes")
     if budget is None:
         budget = sizes.agg(F.sum("tokens")).first()[0] or 0
     wanted = targets.select("mix_id", "source", F.col("target_share").alias("_share"), F.col("max_repeats").alias("_repeats")).where("_share > 0 and _repeats > 0 and source is not null").distinct()
-    wanted = wanted.withColumn("_share", F.col("_share") / F.sum("_share").over(Window.partitionBy("mix_id")))
-    of_source = sizes.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("_all"))
-    queues = materialize(wanted.join(of_source, "source"), "queues")
+    of_source = sizes.where("source is not null").groupBy("source").agg(F.sum("tokens").alias("_all"), F.max("tokens").alias("_largest"))
+    queues = materialize(_fluid_times(wanted.join(of_source, "source"), budget), "queues")
     if queues.count() <= MAX_TARGETS:
         queues = F.broadcast(queues)
-    copies = (
-        queue_positions(sizes, seed)
-        .join(queues, "source")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
-        .withColumn("finish", ((F.col("copy") - 1) * F.col("_all") + F.col("served")) / F.col("_share"))
-        .withColumn("_slice", F.floor(F.col("finish") / F.lit(max(budget, 1) / QUEUE_SLICES)))
-        .select("mix_id", "source", "doc_id", "copy", "tokens", "finish", "_slice")
-    )
-    copies = materialize(copies, "copies")
-    totals = copies.groupBy("mix_id", "_slice").agg(F.sum("tokens").alias("_t"))
-    upto = F.sum("_t").over(Window.partitionBy("mix_id").orderBy("_slice"))
-    slices = totals.withColumn("_upto", upto).where(F.col("_upto") - F.col("_t") < budget)
-    slices = materialize(slices, "slices")
-    whole = copies.join(slices.where(F.col("_upto") <= budget).select("mix_id", "_slice"), ["mix_id", "_slice"], "left_semi")
-    cut = copies.join(slices.where(F.col("_upto") > budget).select("mix_id", "_slice", (F.col("_upto") - F.col("_t")).alias("_before")), ["mix_id", "_slice"])
-    order = Window.partitionBy("mix_id", "_slice").orderBy("finish", "source", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, 0)
-    part = cut.withColumn("_sum", F.col("_before") + F.sum("tokens").over(order)).where(F.col("_sum") <= budget)
-    return whole.drop("_slice").unionByName(part.drop("_slice", "_before", "_sum"))
+    upto = lambda v: F.when(F.col("_all") == 0, F.col("_repeats")).otherwise(F.least(F.col("_repeats"), F.greatest(F.lit(0), F.floor((F.col(v) * F.col("_share") - F.col("served")) / F.col("_all")) + 1))).cast("int")
+    rows = queue_positions(sizes, seed).join(queues, "source").withColumn("copies", upto("_sure")).withColumn("_last", upto("_over"))
+    rows = materialize(rows.where("_last > 0").select("mix_id", "source", "doc_id", "tokens", "served", "copies", "_last", "_all", "_share"), "served")
+    sure = rows.where("copies > 0")
+    edge = rows.where("_last > copies").withColumn("copy", F.explode(F.sequence(F.col("copies") + 1, F.col("_last"))))
+    edge = edge.withColumn("finish", _finish("copy")).select("mix_id", "source", "doc_id", "tokens", "copy", "finish")
+    before = sure.groupBy("mix_id").agg(F.sum(F.col("tokens") * F.col("copies")).alias("_before"))
+    order = ["mix_id", "finish", "source", "doc_id", "copy"]
+    summed = materialize(running_total(edge, order, "tokens", "_upto"), "edge")
+    base = before.join(summed.groupBy("mix_id").agg(F.min(F.col("_upto") - F.col("tokens")).alias("_base")), "mix_id", "right").select("mix_id", (F.coalesce("_before", F.lit(0)) - F.col("_base")).alias("_shift"))
+    base = materialize(base, "edge-base")
+    cut = summed.join(F.broadcast(base) if base.count() <= MAX_TARGETS else base, "mix_id").where(F.col("_upto") + F.col("_shift") <= budget)
+    return sure, cut.select("mix_id", "source", "doc_id", "tokens", "copy", "finish")
+
+
+def _finish(copy: str):
+    return ((F.col(copy) - 1) * F.col("_all") + F.col("served")) / F.col("_share")
+
+
+def mixture(sizes: DataFrame, targets: DataFrame, seed: int = 1, budget: int | None = None) -> DataFrame:
+    """The documents of every mixture: mix_id, source, doc_id, copy (from 1), tokens, finish.
+
+    ``targets`` has mix_id, source, target_share, max_repeats; only the proportions of a mixture's shares matter for the order.
+    ``budget`` (default: the tokens of all of ``sizes``) is the size of each mixture.
+    Copies are taken by finish time (ties: source, document, copy) as long as the total stays within the budget; where a
+    source runs dry the others go on. Sources without documents and shares of NULL or 0 give no rows.
+    """
+    sure, cut = served_copies(sizes, targets, seed, budget)
+    whole = sure.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).withColumn("finish", _finish("copy"))
+    columns = ["mix_id", "source", "doc_id", "copy", "tokens", "finish"]
+    return whole.select(*columns).unionByName(cut.select(*columns))
 
 
 def ordered(mixed: DataFrame) -> DataFrame:
@@ -116,15 +142,19 @@ def ordered(mixed: DataFrame) -> DataFrame:
 def shares(sizes: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
     """One row per mixture and source: target_share, wanted (tokens), taken (tokens), copies (documents taken), on_hand (documents), actual_share, exhausted, short.
 
-    A source is exhausted if every one of its documents was taken max_repeats times, and short if it is exhausted below ``wanted``.
+    A source is exhausted if every one of its documents was taken max_repeats times, and short if less than ``wanted`` was
+    taken and all of its copies together are less than that.
     """
     sizes = materialize(sizes, "sizes")
     budget = sizes.agg(F.sum("tokens")).first()[0] or 0
-    taken = mixture(sizes, targets, seed, budget).groupBy("mix_id", "source").agg(F.sum("tokens").alias("taken"), F.count("*").alias("copies"))
-    stock = sizes.where("source is not null").groupBy("source").agg(F.count("*").alias("on_hand"))
+    sure, cut = served_copies(sizes, targets, seed, budget)
+    both = sure.select("mix_id", "source", "tokens", F.col("copies").cast("bigint").alias("copies")).unionByName(cut.select("mix_id", "source", "tokens", F.lit(1).cast("bigint").alias("copies")))
+    taken = both.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"), F.sum("copies").alias("copies"))
+    stock = sizes.where("source is not null").groupBy("source").agg(F.count("*").alias("on_hand"), F.sum("tokens").alias("stock"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
     rows = targets.select("mix_id", "source", "target_share", "max_repeats").distinct().join(taken, ["mix_id", "source"], "left").join(stock, "source", "left")
-    rows = rows.select("mix_id", "source", "target_share", "max_repeats", (F.col("target_share") * budget).alias("wanted"), zero("taken"), zero("copies"), zero("on_hand"))
+    rows = rows.select("mix_id", "source", "target_share", "max_repeats", (F.col("target_share") * budget).alias("wanted"), zero("taken"), zero("copies"), zero("on_hand"), zero("stock"))
     whole = F.sum("taken").over(Window.partitionBy("mix_id"))
-    rows = rows.withColumn("actual_share", F.when(whole > 0, F.col("taken") / whole)).withColumn("exhausted", F.col("copies") >= F.col("on_hand") * F.greatest("max_repeats", F.lit(0)))
-    return rows.withColumn("short", F.col("exhausted") & (F.col("taken") < F.col("wanted")))
+    most = F.greatest("max_repeats", F.lit(0))
+    rows = rows.withColumn("actual_share", F.when(whole > 0, F.col("taken") / whole)).withColumn("exhausted", F.col("copies") >= F.col("on_hand") * most)
+    return rows.withColumn("short", (F.col("taken") < F.col("wanted")) & (F.col("stock") * most < F.col("wanted"))).drop("stock")
