@@ -9,7 +9,7 @@ from nichelens.session import materialize, quoted
 
 _WORD = r"[\p{L}\p{N}]+"
 _LINK = r"(?:https?://|www\.)\S+|<a\b[^>]*>|</a>|#[\p{L}\p{N}_]+"
-_SPLIT = r"(?<=[.!?…])\s+|(?<=[。！？।])\s*|\n\s*\n"
+_SPLIT = r"(?<=[.!?…])\s+|(?<=[。！？।])\s*|\n\s*\n|\n(?=\s*(?:https?://|www\.))"
 _BLOCK = r"(?i)<br ?/?>|</?(?:p|div|li|ul|ol|tr|td|h\d|blockquote)\b[^>]*>"
 _END = r'[.!?…。！？؟।][\p{Pe}\p{Pf}"\']*\s*(?:</\w+>)?\s*$'
 _PRICE = r"\d[.,]\d\d\b"
@@ -31,7 +31,7 @@ def _bucket(c: Column, *edges: float) -> Column:
 def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per logical line: doc_id, n (words), shape, ends (whether it ends as a sentence), likely (the rule of thumb for its shape), fixed (-1: never a sentence's; 1: always; 0: to be learned).
 
-    A logical line ends at the end of a sentence, an empty line or a block tag; wrapped
+    A logical line ends at the end of a sentence, an empty line, a block tag or before a line that begins with a link; other wrapped
     lines stay together. All counts are built-in expressions, and no word list of any language is used. NULL and empty texts give no
     line. Extra columns are ignored.
 

@@ -108,7 +108,69 @@ def test_leaks_against_brute_force(spark):
     assert leaks(df, it.limit(0)).count() == 0 and leaks(df.limit(0), it).count() == 0
 
 
+def test_repeated_phrases_stay_linear():
+    import time
+
+    import pandas as pd
+
+    from nichelens.llm.eval_leaks import TestSuffixes, _search
+
+    def run(items, docs, n):
+        found = list(_search(iter([pd.DataFrame({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]})]), TestSuffixes([{"item_id": i, "text": t} for i, t in items], n)))
+        return sorted(pd.concat(found).values.tolist()) if found else []
+
+    began = time.time()
+    assert run([(1, "buy now " * 1200)], [(7, "buy now " * 12_000)], 10) == [[7, 1, 2400, 0, 0]] and time.time() - began < 5
+    rng = random.Random(2)
+    for _ in range(120):
+        letters = "abcdefg"[: rng.randrange(1, 7)]
+        items = [(i, " ".join(rng.choice(letters) for _ in range(rng.randrange(0, 25)))) for i in range(3)]
+        docs = [(d, " ".join(rng.choice(letters + "z") for _ in range(rng.randrange(0, 40)))) for d in range(4)]
+        n, want = rng.randrange(2, 5), []
+        for d, x in docs:
+            for i, y in items:
+                a, b, best = x.split(), y.split(), None
+                for p in range(len(a)):
+                    for q in range(len(b)):
+                        k = 0
+                        while p + k < len(a) and q + k < len(b) and a[p + k] == b[q + k]:
+                            k += 1
+                        best = min(best or (0, 0, 0), (-k, p, q)) if k >= n else best
+                if best:
+                    want.append([d, i, -best[0], best[1], best[2]])
+        assert run(items, docs, n) == sorted(want)
+
+
 # --- problem 7 ---
+def test_mixture_against_a_queue(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    docs = [(i, rng.choice(["a", "a", "a", "b", "c", "z", None]), rng.choice([0, 1, 5, 9, 40])) for i in range(300)]
+    sizes = spark.createDataFrame(docs, "doc_id long, source string, tokens long")
+    wanted = [(1, "a", 0.5, 1), (1, "b", 0.3, 3), (1, "c", 0.2, 2), (2, "a", 0.1, 1), (2, "b", 0.9, 1), (3, "q", 1.0, 3), (4, "a", 0.9, 4), (4, "c", 0.5, 2), (5, "b", 1.0, 50)]
+    targets = spark.createDataFrame(wanted, "mix_id int, source string, target_share double, max_repeats int")
+    budget, place = sum(t for *_, t in docs), {r.doc_id: r.h for r in sizes.select("doc_id", F.xxhash64("doc_id", F.lit(1)).alias("h")).collect()}
+    want = set()
+    for mix in {w[0] for w in wanted}:
+        queue = []
+        for _, source, share, most in [w for w in wanted if w[0] == mix]:
+            mine = sorted((d for d in docs if d[1] == source), key=lambda d: (place[d[0]], d[0]))
+            whole, served = sum(d[2] for d in mine), 0
+            for d in mine:
+                served += d[2]
+                queue += [((c * whole + served) / share, source, d[0], c + 1, d[2]) for c in range(most)]
+        total = 0
+        for _, source, doc, copy, tokens in sorted(queue):
+            total += tokens
+            if total <= budget:
+                want.add((mix, source, doc, copy))
+    got = [(r.mix_id, r.source, r.doc_id, r.copy) for r in mixture(sizes, targets).collect()]
+    assert set(got) == want and len(got) == len(want)
+    rows = {(r.mix_id, r.source): r for r in shares(sizes, targets).collect()}
+    assert all(r.short == (sum(d[2] for d in docs if d[1] == k[1]) * r.max_repeats < r.target_share * budget) for k, r in rows.items()) and rows[(4, "c")].short
+
+
 def test_token_sizes(spark):
     docs = spark.createDataFrame([(1, "Hello world", "a", "x"), (1, "Hello world", "a", "x"), (2, None, None, "x"), (3, "<|endoftext|>", "b", "x"), (None, "q", "a", "x")], "doc_id long, text string, source string, tokens string")
     got = {r.doc_id: (r.source, r.tokens) for r in token_sizes(docs).collect()}
@@ -183,3 +245,15 @@ def test_pages(spark):
     assert page_shapes(df.limit(0)).count() == 0
     twice = {r.doc_id: r.flagged for r in page_shapes(df.union(df)).collect()}
     assert twice == {k: r.flagged for k, r in got.items()}
+
+
+def test_prose_of_other_languages_is_no_spam(spark):
+    texts = [
+        "Ostin tämän lampun keittiöön viime talvena. Se toimii hyvin, mutta johto on liian lyhyt. Suosittelen sitä silti kaikille ystäville.",
+        "Я купил эту лампу для кухни прошлой зимой. Она работает хорошо, но провод слишком короткий. Всё равно советую её друзьям.",
+        "先週このランプを台所のために買いました。とても明るいですが、コードが短すぎます。それでも友達に勧めます。",
+        "Kupiłem tę lampę do kuchni zeszłej zimy. Działa dobrze, ale przewód jest za krótki. Mimo to polecam ją znajomym.",
+    ]
+    rows = [(i, t) for i, t in enumerate([*texts, *SPAM.values()])]
+    got = {r.doc_id: r.flagged for r in page_shapes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(i for i, f in got.items() if f) == list(range(len(texts), len(rows)))
