@@ -37,3 +37,8 @@ REVENUE = {"version": "rev1", "scale": 30.0, "tam_sigma": 0.9, "ctr": (2.0, 38.0
 ALPHA = 0.3
 KEEP_SHARE, KEEP_LEAST, MAX_AGE_DAYS = 0.05, 10, 90
 CHUNK_SIZE, SHOWN_CHARS = 100, 500
+
+#: Sources whose rows are no texts and give no product names.
+EXCLUDED_SOURCES = ("wiki_pageviews",)
+#: Parts of messages of errors that may pass by themselves.
+TRANSIENT_MARKERS = ("429", "500", "502", "503", "504", "timeout", "timed out", "overloaded", "unavailable", "rate limit")

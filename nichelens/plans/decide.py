@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from nichelens.functions.constants import EXCLUDED_SOURCES
 from nichelens.functions.text import normalize_phrase
 from nichelens.operators import extraction, scoring
 from nichelens.operators.ordering import percentile_ranks
 from nichelens.operators.series import entity_features
 from nichelens.operators.store import write_append
-from nichelens.session import materialize
+from nichelens.session import materialize, table_exists
 
 
-def decide(texts: DataFrame, products: DataFrame, categories: DataFrame, signals: DataFrame, as_of: datetime, version: str = "v2", days: int = 365) -> DataFrame:
+def decide(texts: DataFrame, products: DataFrame, categories: DataFrame, signals: DataFrame, as_of: datetime, version: str = "v2", days: int = 365, excluded: tuple[str, ...] = EXCLUDED_SOURCES) -> DataFrame:
     """One row per product that was mentioned: shortlist (rank_no, kept), sub-scores, mgs, fad_probability, fad_label and the revenue range.
 
     ``texts`` (id, source_id, ts, text), ``products`` (product_id, phrase, category, doc_ids), ``categories`` as the taxonomy, ``signals`` for interest. A
     phrase's evidence is that of all its categories; mentions count 1 each. One lazy plan but for the written intermediate tables.
     """
+    texts = texts.where(F.col("source_id").isNull() | ~F.col("source_id").isin(*excluded)) if excluded else texts  # counts of page views are no texts
     refs = materialize(extraction.ground_refs(products, texts, categories), "refs")
     ranked = materialize(extraction.rank_products(refs, texts, as_of, days).where("not stale"), "ranked")
     own = texts.where("ts is not null").dropDuplicates(["id"]).select(F.col("id").alias("doc_id"), "source_id", "ts", "text")
@@ -28,7 +30,8 @@ def decide(texts: DataFrame, products: DataFrame, categories: DataFrame, signals
     points = ranked.select("category", F.col("phrase").alias("entity")).join(cited.withColumnRenamed("phrase", "entity"), "entity")
     points = materialize(points.where(F.col("ts") >= scoring.since(as_of, days)).withColumn("value", F.lit(1.0)), "points")
     features = materialize(entity_features(points, ["category", "entity"], as_of.date()), "vectors")
-    first = points.groupBy("category", "entity").agg(F.slice(F.array_sort(F.collect_set(F.struct("ts", "doc_id"))), 1, 5).alias("f")).select("category", "entity", F.explode("f.doc_id").alias("doc_id"))
+    by = Window.partitionBy("category", "entity").orderBy("ts", "doc_id")  # a limit of the window: no entity's points are gathered
+    first = points.withColumn("_r", F.row_number().over(by)).where("_r <= 5").select("category", "entity", "doc_id")
     sample = first.join(own.select("doc_id", "ts", "text"), "doc_id").groupBy("category", "entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "doc_id", "text"))), lambda x: F.lower(x["text"])), " ").alias("sample"))
     interest = scoring.phrase_interest(signals, features.select(normalize_phrase(F.col("entity")).alias("needle")), as_of) if version == "v2" else None
     scores = scoring.mgs(features, categories, sample, interest, version)
@@ -44,10 +47,8 @@ def write_snapshot(scored: DataFrame, path: str, run_id: str) -> None:
     """Append the rows of a run that are not there yet; the table is partitioned by run and never updated."""
     rows = scored.withColumn("run_id", F.lit(run_id))
     key = ["run_id", "category", "entity", "weights_version"]
-    try:
-        old = scored.sparkSession.read.parquet(path).where(F.col("run_id") == run_id).select(key)
-    except Exception:
-        old = rows.select(key).limit(0)
+    there = table_exists(scored.sparkSession, path)
+    old = scored.sparkSession.read.parquet(path).where(F.col("run_id") == run_id).select(key) if there else rows.select(key).limit(0)
     write_append(rows.join(old, key, "left_anti"), path, ["run_id"])
 
 

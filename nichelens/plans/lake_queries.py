@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nichelens.functions.text import content_hash
+from nichelens.functions.text import content_hash, record_field
 from nichelens.operators import extraction
 from nichelens.operators.flow import token_bucket, within_budget
 from nichelens.operators.ordering import global_row_number
@@ -23,7 +23,9 @@ def texts(spark, d) -> DataFrame:
 
 
 def products(spark, d) -> DataFrame:
-    return table(spark, d, "extracted_products").dropDuplicates(["product_id"])
+    """Products once each; where an answer was not taken apart, phrase and category come from ``record``."""
+    p = table(spark, d, "extracted_products").dropDuplicates(["product_id"])
+    return p.withColumns({c: F.coalesce(c, record_field(F.col("record"), c)) for c in ("phrase", "category")})
 
 
 def text_dedup(spark, d):
@@ -116,7 +118,7 @@ def stream_ingest_dedup(spark, d):
     src = f"{d}/signals.parquet"
     schema = spark.read.parquet(src).schema
     out = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
-    path = src if spark.read.parquet(src).inputFiles()[0].rstrip("/").rsplit("/", 1)[0].endswith("signals.parquet") else f"{d}/signals*.parquet"
+    path = src if spark.read.parquet(src).inputFiles()[0].rstrip("/").rsplit("/", 1)[0].endswith("signals.parquet") else f"{d}/signals.parquet*"
     ingest(read_files(spark, path, schema).where("ts is not null"), f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema(schema).parquet(f"{out}/table").groupBy("source_id", "metric").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
@@ -129,7 +131,8 @@ QUERIES = {
     )
 }
 _T = "t AS (SELECT DISTINCT ON (id) * FROM chunk_texts)"
-_P = "p AS (SELECT DISTINCT ON (product_id) * FROM extracted_products)"
+_FIELD = "coalesce({0}, CASE WHEN ltrim(record) LIKE '{{%' THEN json_extract_string(record, '$.{0}') ELSE nullif(trim(regexp_extract(record, '(?:^|[|])\\s*{0}: ([^|]*)', 1)), '') END)"
+_P = f"p AS (SELECT DISTINCT ON (product_id) * REPLACE ({_FIELD.format('phrase')} AS phrase, {_FIELD.format('category')} AS category) FROM extracted_products)"
 _COLL = "trim(regexp_replace({0}, '[\\s\\p{{Z}}\\x{{85}}]+', ' ', 'g'))"
 _NO = f"WITH {_T}, c AS (SELECT *, row_number() OVER (ORDER BY ts NULLS FIRST, source_id NULLS FIRST, encode(text), id) - 1 text_no FROM t WHERE length(trim(text)) > 0)"
 _HASH = "sha256(regexp_replace(replace(replace(payload, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') || chr(0))"

@@ -17,9 +17,10 @@ ORDER = ["scored_at", "run_id", "weights_version"]
 
 
 def scores(spark, d) -> DataFrame:
-    """Valid snapshots, each once per (candidate, run, version, time, category): the first of a repeated key wins by its score."""
+    """Valid snapshots, each once per (candidate, run, version, time, category): of a repeated key the row of the highest score, ties by phrase, label and mentions."""
     s = table(spark, d, "ranked_scores").where("mgs is not null and not isnan(mgs) and candidate_id is not null and scored_at is not null")
-    return s.groupBy("candidate_id", "category", *ORDER).agg(F.max("mgs").alias("mgs"), F.max("phrase").alias("phrase"), F.max("fad_label").alias("fad_label"), F.max("mentions").alias("mentions"))
+    best = F.max(F.struct("mgs", "phrase", "fad_label", "mentions")).alias("b")
+    return s.groupBy("candidate_id", "category", *ORDER).agg(best).select("candidate_id", "category", *ORDER, "b.mgs", "b.phrase", "b.fad_label", "b.mentions")
 
 
 def newest(spark, d) -> DataFrame:
@@ -193,8 +194,8 @@ QUERIES = {
         failure_streaks, snapshot_hash,
     )
 }
-_S = """WITH sc AS (SELECT candidate_id, category, scored_at, run_id, weights_version, max(mgs) mgs, max(phrase) phrase, max(fad_label) fad_label, max(mentions) mentions FROM ranked_scores
-  WHERE mgs IS NOT NULL AND NOT isnan(mgs) AND candidate_id IS NOT NULL AND scored_at IS NOT NULL GROUP BY ALL),
+_S = """WITH sc AS (SELECT candidate_id, category, scored_at, run_id, weights_version, mgs, phrase, fad_label, mentions FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id, category, scored_at, run_id, weights_version
+    ORDER BY mgs DESC, phrase DESC NULLS LAST, fad_label DESC NULLS LAST, mentions DESC NULLS LAST) kk FROM ranked_scores WHERE mgs IS NOT NULL AND NOT isnan(mgs) AND candidate_id IS NOT NULL AND scored_at IS NOT NULL) WHERE kk = 1),
 nw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY scored_at DESC, run_id DESC NULLS LAST, weights_version DESC NULLS LAST, category DESC NULLS LAST) k FROM sc) WHERE k = 1)"""
 _HALF = _S + """, mi AS (SELECT min(scored_at) + to_microseconds(CAST(floor((epoch_us(max(scored_at)) - epoch_us(min(scored_at))) / 2) AS BIGINT)) t FROM sc)"""
 

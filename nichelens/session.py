@@ -87,6 +87,13 @@ def discard(*tables: DataFrame) -> None:
             _drop(df.sparkSession, df._scratch)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder holds files. Any other trouble with it is raised, so that a table that can't be read is never taken for an empty one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p)) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p))
+
+
 def quoted(name: str) -> str:
     """A column name that may hold dots, for use in F.col."""
     return f"`{name.replace('`', '``')}`"

@@ -10,8 +10,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from nichelens.operators.store import append_new
+from nichelens.session import table_exists
 
 KEY = ("source_id", "entity", "metric", "ts")
+#: Days of one batch that are named to the scan of the table; with more it reads all of them.
+MAX_DAYS = 400
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, per_trigger: int = 16) -> DataFrame:
@@ -24,15 +27,21 @@ def deduplicated(stream: DataFrame, keys: Sequence[str] = KEY, late: str = "30 d
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = KEY) -> StreamingQuery:
-    """Append what is new to a table, batch by batch, and end when all input is read. A batch that is run again after a failure adds nothing."""
+    """Append what is new to a table, batch by batch, and end when all input is read. A batch that is run again after a failure adds nothing.
+
+    The table is partitioned by the day of ts, which is part of the key: a batch is held against the days it has rows of, not against the whole table.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.schema(batch.schema).parquet(path)
-        except Exception:
-            old = batch.limit(0)
-        append_new(old, batch, keys, ["id"]).select(batch.columns).write.mode("append").parquet(path)
+        rows = batch.withColumn("day", F.coalesce(F.to_date("ts").cast("string"), F.lit("none")))
+        if table_exists(spark, path):
+            days = [r[0] for r in rows.select("day").distinct().limit(MAX_DAYS + 1).collect()]
+            old = spark.read.schema(rows.schema).parquet(path)
+            old = old.where(F.col("day").isin(days)) if len(days) <= MAX_DAYS else old
+        else:
+            old = rows.limit(0)
+        append_new(old, rows, keys, ["id"]).select(rows.columns).write.mode("append").partitionBy("day").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
