@@ -2,44 +2,32 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nichelens.functions.text import record_field
 from nichelens.operators.skew import attach_groups
 from nichelens.session import materialize, quoted
 
-#: Base letters whose combining acute, grave, tilde, diaeresis, circumflex and cedilla
-#: forms are composed, so that both spellings of an accented letter are one letter.
-COMPOSED = {
-    "́": ("aeiouyAEIOUYcnsz", "áéíóúýÁÉÍÓÚÝćńśź"),
-    "̀": ("aeiouAEIOU", "àèìòùÀÈÌÒÙ"),
-    "̃": ("anoANO", "ãñõÃÑÕ"),
-    "̈": ("aeiouyAEIOU", "äëïöüÿÄËÏÖÜ"),
-    "̂": ("aeiouAEIOU", "âêîôûÂÊÎÔÛ"),
-    "̧": ("cC", "çÇ"),
-    "̊": ("aA", "åÅ"),
-}
+
+@F.pandas_udf("string")
+def composed(texts: pd.Series) -> pd.Series:
+    """Letters with combining marks as one character each, where there is one (NFC)."""
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
 def canonical(text: Column) -> Column:
     """Letters and digits only, lower case; accented letters stay distinct.
 
-    Combining accents are composed first (see COMPOSED), other marks stay as
+    Texts that hold combining marks are composed first, in Arrow batches to which all other texts go as NULL; marks that belong to no composed letter stay as
     they are. NULL gives NULL; a text of punctuation alone gives ''.
     """
-    out = text
-    for mark, (base, whole) in COMPOSED.items():
-        for b, w in zip(base, whole, strict=True):
-            out = F.replace(out, F.lit(b + mark), F.lit(w))
-    composed = F.when(text.rlike(r"\p{M}"), out).otherwise(text)
-    return F.lower(F.regexp_replace(composed, r"[^\p{L}\p{N}\p{M}]+", ""))
-
-
-def record_field(record: Column, name: str) -> Column:
-    """A text field of an answer written as JSON, or as 'name: value | name: value'; NULL where it isn't there."""
-    as_json = F.when(F.ltrim(record).startswith("{"), F.get_json_object(record, f"$.{name}"))
-    plain = F.regexp_extract(record, rf"(?is)(?:^|\|)\s*{name}\s*[:=]\s*(.*?)\s*(?:\||$)", 1)
-    return F.coalesce(as_json, F.when(~F.ltrim(record).startswith("{") & (plain != ""), plain))
+    marked = text.rlike(r"\p{M}")
+    whole = F.when(marked, composed(F.when(marked, text))).otherwise(text)
+    return F.lower(F.regexp_replace(whole, r"[^\p{L}\p{N}\p{M}]+", ""))
 
 
 def format_keys(df: DataFrame, id_col: str, fields: list[str], record: str | None = None) -> DataFrame:
@@ -47,7 +35,7 @@ def format_keys(df: DataFrame, id_col: str, fields: list[str], record: str | Non
 
     A NULL field is taken from ``record``, whatever that record's notation and
     field order are; a field found nowhere counts as its own value, distinct from ''.
-    ``_len`` and ``_check`` (64 bits under another seed) serve the collision check.
+    ``_check`` (64 bits under another seed) serves the collision check.
     """
     parts = []
     for f in fields:
