@@ -35,7 +35,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     lines stay together. All counts are built-in expressions, and no word list of any language is used. NULL and empty texts give no
     line. Extra columns are ignored.
 
-    The shape is: words / first letter / capitals / separators / links / prices / repeats / end mark of a short line, each in coarse steps. Repeats are pairs of
+    The shape is: words / first letter / capitals / separators / line ends / links / prices / repeats / end mark of a short line or one of many separators, each in coarse steps. Repeats are pairs of
     neighbouring words that come again within the line; links with their words, tags and markup count as links.
     """
     rows = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text)).alias("text"))
@@ -58,7 +58,8 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         (F.size("words") + dense).alias("k"),
         F.size("words").alias("plain_words"),
         F.when(F.size("words") < 4, 0).otherwise(F.size("words") - 1 - F.size(F.array_distinct(F.slice(pairs, 1, F.size("words") - 1)))).alias("again"),
-        (seps + broken_up).alias("seps"),
+        seps.alias("seps"),
+        broken_up.alias("broken"),
         F.regexp_count("plain", F.lit(r"\p{Lu}")).alias("caps"),
         (start == F.upper(start)).alias("raised"),
         F.substring(F.rtrim("line"), -16, 16).rlike(_END).alias("ends"),
@@ -72,13 +73,15 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
         F.when(F.col("raised"), "A").otherwise("a"),
         _bucket(F.col("caps") / k, 0.001, 0.3, 0.8),
         _bucket(F.col("seps") / k, 0.05, 0.12, 0.2, 0.5),
+        _bucket(F.col("broken") / k, 0.001, 0.3),
         _bucket(links / F.col("n"), 0.01, 0.3, 0.6),
         F.when(F.col("priced"), "$").otherwise("-"),
         F.when(stuffed, _bucket(F.col("again") / k, 0.2)).otherwise("-"),
-        F.when(F.col("ends") & (F.col("k") < 8), ".").otherwise("-"),
+        F.when(F.col("ends") & ((F.col("k") < 8) | (F.col("seps") / k >= 0.12)), ".").otherwise("-"),
     )
-    unmarked = (F.col("seps") / k < 0.12) & (links / F.col("n") < 0.01) & ~F.col("priced")
-    likely = F.when(F.col("priced"), 0.4).when((F.col("seps") / k < 0.2) & (links / F.col("n") < 0.3), 0.9).otherwise(0.1)
+    marks = F.col("seps") + F.col("broken")
+    unmarked = (marks / k < 0.12) & (links / F.col("n") < 0.01) & ~F.col("priced")
+    likely = F.when(F.col("priced"), 0.4).when((marks / k < 0.2) & (links / F.col("n") < 0.3), 0.9).otherwise(0.1)
     fixed = F.when((F.col("k") < 4) | (links > F.col("k")) | stuffed, -1).when(unmarked & ((F.col("k") >= 8) | F.col("ends")), 1).otherwise(0)
     return rows.select("doc_id", "n", shape.alias("shape"), "ends", likely.alias("likely"), fixed.alias("fixed"))
 
